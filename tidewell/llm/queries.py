@@ -10,6 +10,7 @@ from .common import documents
 from .jpeg import media_columns
 from .language_id import identify
 from .mixing import mix
+from .near_dup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
 from .secret_scan import find_secrets
@@ -42,12 +43,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_mixing, op4_pii, op5_token_counts, op6_media, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_mixing, op4_pii, op5_token_counts, op6_media, op8_packing, op9_near_duplicates, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
