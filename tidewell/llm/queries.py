@@ -10,7 +10,9 @@ from .common import documents
 from .jpeg import media_columns
 from .language_id import identify
 from .mixing import mix
+from .lm_score import lm_scores
 from .near_dup import near_duplicates
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .pii import find_personal_data
 from .secret_scan import find_secrets
@@ -19,6 +21,10 @@ from .token_counts import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
@@ -39,6 +45,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -51,8 +61,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+OPERATORS = (op1_neighbours, op2_secret_scan, op3_mixing, op4_pii, op5_token_counts, op6_media, op7_lm_score, op8_packing, op9_near_duplicates, op10_language_id)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_mixing, op4_pii, op5_token_counts, op6_media, op8_packing, op9_near_duplicates, op10_language_id)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
