@@ -96,3 +96,14 @@ def test_awkward_rows(spark, awkward):
     assert by[4].n_shingles == 1 and by[6].n_shingles == 1 and by[7].component_id == 7
     assert by[None].component_id is None
     assert near_duplicates(awkward.limit(0)).collect() == []
+
+
+def test_sql_tells_the_same():
+    import duckdb
+
+    from tidewell.llm.queries import NEAR_DUPLICATES_SQL
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    rows = c.execute("SELECT doc_id, text FROM documents").fetchall()
+    assert sorted(c.execute(NEAR_DUPLICATES_SQL).fetchall()) == brute(rows)

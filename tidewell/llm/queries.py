@@ -68,5 +68,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in OPERATORS}
 
 
+#: Shingle sets, all pairs that share one, their exact similarity, and the closure of the links.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, t.component_id, s.doc_id = t.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1) t ON t.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only near-duplicates have a result that SQL can tell; the others are tested against plain versions."""
+    return {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
