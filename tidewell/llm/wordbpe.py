@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Parts longer than this are encoded but not remembered.
 MAX_CACHED_BYTES = 64
 #: Most parts a worker remembers (about 200 bytes each).
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 #: Signs that form a piece of their own behind a letter or digit.
 TRAILING_SIGNS = b".,;:!?*#&%$"
 VOCABULARY = "word_bpe_49k.json"
