@@ -88,6 +88,20 @@ def test_large_groups_and_common_passages(spark, make_docs):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_copies_that_only_the_original_links(spark, make_docs):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    original = [word() for _ in range(300)]
+    rows = [(0, " ".join(word() for _ in range(50))), (77, " ".join(original))]
+    for i in range(100, 200):  # three edits each: 0.9 to the original, 0.82 to one another
+        w = list(original)
+        for at in (10 + r.randrange(80), 110 + r.randrange(80), 210 + r.randrange(80), 150 + r.randrange(4)):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    docs = make_docs([(d, t, "en", "s", len(t)) for d, t in rows])
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
+
+
 def test_awkward_rows(spark, awkward):
     rows = near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
