@@ -102,6 +102,32 @@ def test_copies_that_only_the_original_links(spark, make_docs):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_links_between_members_of_long_lists(spark, make_docs):
+    """Groups under one template: families of an original and its edits, and a chain of edits, of which no two share
+    more than the template with another. Each is found whole, none is joined with another."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(260)]
+    rows, d = [], 0
+    order = list(range(600))
+    r.shuffle(order)
+    for _ in range(120):  # J = 0.84 or less between families, 0.9 within
+        own = template[:] + [word() for _ in range(24)]
+        for _ in range(4):
+            w = own[:]
+            w[-1 - r.randrange(20)] = word()
+            rows.append((order[d], " ".join(w)))
+            d += 1
+    w = template[:] + [word() for _ in range(40)]
+    for _ in range(120):  # neighbours are linked, far ones are not
+        w = w[:]
+        w[260 + r.randrange(40)] = word()
+        rows.append((order[d], " ".join(w)))
+        d += 1
+    docs = make_docs([(d, t, "en", "s", len(t)) for d, t in rows])
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
+
+
 def test_awkward_rows(spark, awkward):
     rows = near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()

@@ -4,10 +4,14 @@ One hash function maps every shingle to 64 bits; a document's sketch is the ``SK
 Documents of equal sets are one class, and only its first document goes on. Inverted lists of the ``KEYS`` smallest
 values generate overlaps; of two sets with a Jaccard similarity of 0.85, a given retained value of one is in the other
 with probability 0.92, so both share a list almost surely. A list that is too long to pair up (a passage of thousands
-of documents) is left out for documents that share enough shorter lists. Documents that don't look deeper into their
-sketch, and those whose values are all common - large groups of near copies - are tied to their lists' hubs: its most
-central member and two others. The union-sketch estimate filters candidates, and exact Jaccard similarity on full sets
-verifies them: first the best candidate of each document, then only candidates that would still join two components.
+of documents) is left out for documents that have enough shorter lists. Documents that don't look deeper into their
+sketch. The union-sketch estimate filters candidates, and exact Jaccard similarity on full sets verifies them: first
+the best candidate of each document, then only candidates that would still join two components.
+
+Documents whose values are nearly all common - large groups of near copies or long templates - are compared exactly:
+of their sketch they keep so many of the rarest values that two linked ones have one in common, and every list of such
+a value that still holds several components is cut into bands of size and blocks. Each cell, a pair of blocks, counts
+the common shingles of all its pairs of full sets at once and passes on a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -28,13 +32,17 @@ WIDTH = 5
 SKETCH = 64
 #: Values that make inverted lists: at first, and for documents that lack short lists.
 KEYS, DEEP_KEYS = 12, 24
-#: Share of retained values that a linked document may lack: 1 - 2J / (1 + J) at the threshold.
-LACKING = 1 - 2 * 0.85 / 1.85
-#: Longest list that is paired up. Longer ones go by hubs, which lose nothing that another list or round can't find.
-LONGEST_LIST = 32
-#: Hub rounds for documents that no verified link has reached.
-HUB_KEYS, HUB_ROUNDS = 8, 2
 SIMILAR_PERCENT = 85
+#: Share of retained values that a linked document may lack: up to 1 - J at the threshold, as for a part of a text.
+LACKING = 1 - SIMILAR_PERCENT / 100
+#: Longest list that is paired up by a join. Longer ones are compared in cells.
+LONGEST_LIST = 32
+#: Base of the bands of size: linked sets are in the same or in neighbouring ones, as it is over 1 / J.
+BAND = 1.18
+#: Documents and shingles in a block of a long list; lists up to WHOLE documents or PARTS blocks are cut finer.
+BLOCK, BLOCK_SHINGLES, WHOLE, PARTS = 1024, 1 << 21, 128, 8
+#: Common shingles are counted one by one where few pairs have them, else by products of so many columns.
+FEW_PAIRS, COLUMNS = 64, 2048
 #: Candidates whose estimate is this many standard deviations below the threshold are dropped.
 DEVIATIONS = 4.0
 #: Bits of the filter that keeps the second pass over the texts to documents with candidates.
@@ -56,11 +64,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(needs(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, identity binary, sketch array<long>")
 
 
+def _may_lack(values: Column) -> Column:
+    """So many of its values a linked document may lack, at four standard deviations."""
+    return F.ceil(values * LACKING + DEVIATIONS * F.sqrt(values * (LACKING * (1 - LACKING))))
+
+
 def _too_few_short(values: Column, common: Column) -> Column:
-    """Whether a linked document might lack all of the values with short lists: there are no more of them than the
-    number that it may lack, at four standard deviations."""
-    may_lack = values * LACKING + DEVIATIONS * F.sqrt(values * (LACKING * (1 - LACKING)))
-    return values - common <= F.ceil(may_lack)
+    """Whether a linked document might lack all of the values with short lists."""
+    return values - common <= _may_lack(values)
 
 
 def _long_enough(a: Column, b: Column) -> Column:
@@ -80,19 +91,103 @@ def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries.join(long, "value", "left_anti"), entries.join(long, "value")
 
 
-def _hubs(entries: DataFrame, round_: int) -> DataFrame:
-    """Pairs of each member of a long list and the list's hubs. Central is who has the most common values in its whole
-    sketch (weight): of an original and its edited copies that is the original."""
-    pick = lambda *by: F.max(F.struct(*by, "rep"))["rep"]
-    hubs = entries.groupBy("value").agg(
-        pick("weight", (-F.col("rep")).alias("first")).alias("h0"),
-        pick(F.xxhash64("value", "rep", F.lit(2 * round_)).alias("drawn")).alias("h1"),
-        pick(F.xxhash64("value", "rep", F.lit(2 * round_ + 1)).alias("drawn")).alias("h2"),
+def _cells(keys: DataFrame) -> DataFrame:
+    """value, band, next, i, j, right, rep: the cells that each member of a list (rep, n, value) is in. Any two members
+    whose sizes allow a link meet in one: two blocks of a band (i <= j), or one of a band and one of the next."""
+    whole = keys.groupBy("value").agg((F.count("*") <= WHOLE).alias("small"), F.sum("n").alias("all_n"))
+    band = F.when(F.col("small") & (F.col("all_n") <= BLOCK_SHINGLES), F.lit(-1)).otherwise(F.floor(F.log("n") / F.log(F.lit(BAND)))).cast("int")
+    banded = keys.join(whole, "value").select("value", "rep", "n", band.alias("band"))
+    m = F.count("*")
+    blocks = F.greatest(F.ceil(m / BLOCK), F.least(F.lit(PARTS), F.ceil(m / WHOLE)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    of_band = banded.groupBy("value", "band").agg(blocks.alias("blocks"))
+    beside = lambda name, step: of_band.select("value", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    around = of_band.join(beside("above", 1), ["value", "band"], "left").join(beside("below", -1), ["value", "band"], "left")
+    placed = banded.join(around.na.fill(0, ["above", "below"]), ["value", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k < F.col(n))
+    cell = lambda band, next_, i, j, right: F.struct(band.alias("band"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"), right.alias("right"))
+    at, own = F.col("block"), F.col("band")
+    cells = F.concat(
+        F.transform(upto("blocks"), lambda k: cell(own, False, F.least(at, k), F.greatest(at, k), k < at)),
+        F.transform(upto("above"), lambda k: cell(own, True, at, k, F.lit(False))),
+        F.transform(upto("below"), lambda k: cell(own - 1, True, k, at, F.lit(True))),
     )
-    # a document's lists often share hubs: each is met once
-    of_rep = entries.select("value", "rep").join(hubs, "value").groupBy("rep").agg(*[F.collect_set(h).alias(h) for h in ("h0", "h1", "h2")])
-    at = of_rep.select("rep", F.explode(F.array_union("h0", F.array_union("h1", "h2"))).alias("hub"))
-    return at.filter("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    return placed.select("value", "rep", F.explode(cells).alias("c")).select("value", "c.*", "rep")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    row_l, row_r = (np.repeat(np.arange(len(n)), n) for n in sizes)
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    col_l, col_r = column[: len(row_l)], column[len(row_l) :]
+    columns = int(column.max()) + 1
+    in_l, in_r = np.bincount(col_l, minlength=columns), np.bincount(col_r, minlength=columns)
+    few = in_l * in_r <= FEW_PAIRS
+    out = np.zeros((len(left), len(right)))
+    order = np.argsort(col_r, kind="stable")
+    begin, rows = np.cumsum(in_r) - in_r, row_r[order]
+    chosen = np.flatnonzero(few[col_l] & (in_r[col_l] > 0))
+    for k in range(0, len(chosen), 1 << 17):  # at most FEW_PAIRS pairs each
+        c = chosen[k : k + (1 << 17)]
+        times = in_r[col_l[c]]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pair = np.repeat(row_l[c], times) * len(right) + rows[np.repeat(begin[col_l[c]], times) + nth]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+    number = np.cumsum(~few) - 1  # the others, as columns of zeros and ones
+    many_l, many_r = ~few[col_l], ~few[col_r]
+    at_l, at_r, row_l, row_r = number[col_l[many_l]], number[col_r[many_r]], row_l[many_l], row_r[many_r]
+    for k in range(0, int((~few).sum()), COLUMNS):
+        x, y = (np.zeros((len(s), COLUMNS), np.float32) for s in (left, right))
+        for dense, at, row in ((x, at_l, row_l), (y, at_r, row_r)):
+            here = (at >= k) & (at < k + COLUMNS)
+            dense[row[here], at[here] - k] = 1
+        out += x @ y.T
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that tie together what the symmetric ``linked`` does."""
+    left, edges = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        waiting = [start] if left[start] else []
+        left[start] = False
+        while waiting:
+            x = waiting.pop()
+            found = np.flatnonzero(linked[x] & left)
+            left[found] = False
+            edges += [(x, y) for y in found.tolist()]
+            waiting += found.tolist()
+    return edges
+
+
+def _settled(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all members of a list of ``keys`` (rep, n, value) whose full sets are similar enough."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, right = cell.column("rep").to_numpy(), cell.column("right").to_numpy()
+        full = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in full])
+        sides = [np.arange(len(ids))] * 2 if cell.column("i")[0].equals(cell.column("j")[0]) and not cell.column("next")[0].as_py() else [np.flatnonzero(~right), np.flatnonzero(right)]
+        edges = []
+        if len(ids) > 1 and len(sides[0]) and len(sides[1]):
+            l, r = sides
+            common = _common([full[i] for i in l], [full[i] for i in r])
+            linked = np.zeros((len(ids), len(ids)), bool)
+            linked[np.ix_(l, r)] = (common > 0) & (100 * common >= SIMILAR_PERCENT * (n[l][:, None] + n[r][None, :] - common))
+            edges = _forest(linked | linked.T)
+        a, b = (ids[[e[k] for e in edges]] if edges else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _cells(keys).join(sets, "rep").groupBy("value", "band", "next", "i", "j").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _open_lists(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries of lists that hold several components; of lists with the same members one stays."""
+    of = keys.join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    component = F.coalesce("component", "rep")
+    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "rep")).alias("y")]
+    lists = of.groupBy("value").agg(*members, F.min(component).alias("low"), F.max(component).alias("high")).filter("low <> high")
+    return keys.join(lists.groupBy("m", "x", "y").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -180,20 +275,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # documents that lack short lists look at the rest of their sketch
     lacking = long.groupBy("rep", "n").agg(F.count("*").alias("common")).filter(_too_few_short(F.least(F.col("n"), F.lit(KEYS)), F.col("common")))
     lacking = cut(lacking.select("rep").distinct(), "lists-lacking")
-    deep = cut(reps.join(lacking, "rep", "left_semi").select("rep", "n", entry(1, DEEP_KEYS).alias("value")), "lists-deep")
+    deep = cut(reps.join(lacking, "rep", "left_semi").select("identity", "rep", "n", entry(1, DEEP_KEYS).alias("value")), "lists-deep")
     deep_short, deep_long = _split(deep)
     candidates.append(_pairs(deep_short))
-    still = deep_long.groupBy("rep", "n").agg(F.count("*").alias("common")).filter(_too_few_short(F.least(F.col("n"), F.lit(DEEP_KEYS)), F.col("common"))).select("rep").distinct()
-    common = cut(deep_long.join(still, "rep", "left_semi"), "lists-common")
-    ranked = F.xxhash64("value")
-    first_keys = common.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct(ranked.alias("at"), "value"))), 1, HUB_KEYS).alias("keys"), F.sum("df").alias("weight"))
-    hub_entries = cut(first_keys.select("rep", "weight", F.explode("keys").alias("k")).select("rep", "weight", "k.value"), "lists-hubs")
-    candidates.append(_hubs(hub_entries, 0))
+    # those that lack them even so keep as many of their rarest long lists as linked ones need to meet in one
+    values = F.least(F.col("n"), F.lit(DEEP_KEYS))
+    ranked = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("value").alias("at"), "value")))
+    still = deep_long.groupBy("identity", "rep", "n").agg(F.count("*").alias("common"), ranked.alias("lists")).filter(_too_few_short(values, F.col("common")))
+    prefix = F.slice("lists", F.lit(1), (_may_lack(values) + 1 - (values - F.col("common"))).cast("int"))
+    keys = cut(still.select("rep", "n", F.posexplode(F.reverse(prefix)).alias("nth", "k")).select("rep", "n", "nth", "k.value"), "lists-common")
     pairs = candidates[0]
     for c in candidates[1:]:
         pairs = pairs.unionByName(c)
     estimated = cut(_estimated(pairs.distinct(), reps), "estimates")
-    wanted = estimated.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(hub_entries.select("rep")).distinct()
+    wanted = estimated.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(keys.select("rep")).distinct()
     sets = cut(_sets_of(docs, cut(wanted, "wanted")), "sets")
     # first the best candidate of each document
     best = estimated.groupBy("a").agg(F.max_by("b", "estimate").alias("b")).unionByName(estimated.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b")).distinct()
@@ -201,26 +296,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = usable.groupBy("doc_id").agg(F.min("identity").alias("low"), F.max("identity").alias("high")).filter("low <> high").select("doc_id")
     same_id = usable.join(several, "doc_id", "left_semi").join(reps.select("identity", "rep"), "identity").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_verified(best, sets).unionByName(same_id), "links")
-    nodes = connected_components(links)
-    tried = best
-    for round_ in range(1, HUB_ROUNDS + 2):
-        nodes = cut(nodes, "components-now")
-        label = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731,B023
-        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-        if round_ == 1:
-            open_ = estimated.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        else:  # members of long lists that nothing has reached meet other hubs
-            lonely = hub_entries.join(nodes.select(F.col("node").alias("rep")), "rep", "left_anti")
-            # lists without a lonely member can't give a pair that is wanted
-            drawn = _hubs(hub_entries.join(lonely.select("value").distinct(), "value", "left_semi"), round_ - 1)
-            alone = lonely.select(F.col("rep").alias("a")).distinct()
-            meets = drawn.join(alone, "a", "left_semi").unionByName(drawn.join(alone.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")).distinct()
-            open_ = _estimated(meets, reps).select("a", "b")
-        open_ = open_.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(apart).select("a", "b")
-        more = cut(_verified(open_, sets), "links-more")
+    nodes = cut(connected_components(links), "components-now")
+    label = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    open_ = estimated.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(apart).select("a", "b")
+    more = cut(_verified(open_, sets), "links-more")
+    # long lists: at first each document in the longest of its own, which ties near copies, then all that hold several components
+    for lists in (keys.filter("nth = 0"), keys):
         if not more.isEmpty():
             links = links.unionByName(more)
-            nodes = connected_components(links)
+            nodes = cut(connected_components(links), "components-now")
+        more = cut(_settled(cut(_open_lists(lists.select("rep", "n", "value"), nodes), "lists-open"), sets), "links-more")
+    if not more.isEmpty():
+        nodes = connected_components(links.unionByName(more))
     labels = reps.join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("identity", F.coalesce("component", "rep").alias("component"))
     found = usable.select("doc_id", "identity").join(labels, "identity").groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
