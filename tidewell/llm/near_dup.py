@@ -31,7 +31,7 @@ from .shingles import shingle_set
 WIDTH = 5
 SKETCH = 64
 #: Values that make inverted lists: at first, and for documents that lack short lists.
-KEYS, DEEP_KEYS = 12, 24
+KEYS, DEEP_KEYS = 12, SKETCH
 SIMILAR_PERCENT = 85
 #: Share of retained values that a linked document may lack: up to 1 - J at the threshold, as for a part of a text.
 LACKING = 1 - SIMILAR_PERCENT / 100
