@@ -4,7 +4,6 @@ import re
 import numpy as np
 import pytest
 
-from tidewell.llm import near_dup
 from tidewell.llm.components import connected_components
 from tidewell.llm.near_dup import near_duplicates
 from tidewell.llm.shingles import shingle_set
@@ -129,11 +128,6 @@ def test_links_between_members_of_long_lists(spark, make_docs):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
 
 
-def test_deep_lists_hold_the_whole_sketch():
-    # of 64 values, 90 % in a passage of thousands: with 24 values none may be left outside it (0.9^24 = 8 %)
-    assert near_dup.DEEP_KEYS == near_dup.SKETCH
-
-
 def test_near_copies_inside_a_population_that_shares_most_text(spark, make_docs):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))

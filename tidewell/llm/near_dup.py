@@ -30,8 +30,8 @@ from .shingles import shingle_set
 
 WIDTH = 5
 SKETCH = 64
-#: Values that make inverted lists: at first, and for documents that lack short lists.
-KEYS, DEEP_KEYS = 12, SKETCH
+#: Values that make inverted lists at first; documents that lack short lists look at the whole sketch, in parts.
+KEYS, SKETCH_PARTS = 12, 16
 SIMILAR_PERCENT = 85
 #: Share of retained values that a linked document may lack: up to 1 - J at the threshold, as for a part of a text.
 LACKING = 1 - SIMILAR_PERCENT / 100
@@ -85,10 +85,19 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return entries.join(other, "value").filter((F.col("rep") > F.col("b")) & _long_enough(F.col("n"), F.col("n_b"))).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of lists that are short enough to pair up, and of the others (with their length as df)."""
-    long = cut(entries.groupBy("value").agg(F.count("*").alias("df")).filter(F.col("df") > LONGEST_LIST), "lists-long")
-    return entries.join(long, "value", "left_anti"), entries.join(long, "value")
+def _with_length(entries: DataFrame, times: str = "1") -> DataFrame:
+    """``entries`` (value, ...) with df: the length of the value's list, null where it is short enough to pair up."""
+    long = cut(entries.groupBy("value").agg(F.sum(F.expr(times)).alias("df")).filter(F.col("df") > LONGEST_LIST), "lists-long")
+    return entries.join(long, "value", "left")
+
+
+def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs`` (rep, n, sketch) in ``PARTS`` parts by the value: rep, n, part (its digest); and part,
+    times, values of each different one. Near copies share most parts, so a large group of them has few."""
+    number = lambda v: F.pmod(F.xxhash64(v), F.lit(SKETCH_PARTS))
+    own = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_PARTS - 1)), lambda k: F.filter("sketch", lambda v: number(v) == k))
+    held = cut(docs.select("rep", "n", F.explode(F.filter(own, lambda p: F.size(p) > 0)).alias("values")).withColumn("part", F.md5(F.array_join("values", " "))), "sketch-parts")
+    return held.select("rep", "n", "part"), cut(held.groupBy("part").agg(F.count("*").alias("times"), F.any_value("values").alias("values")), "sketch-parts-different")
 
 
 def _cells(keys: DataFrame) -> DataFrame:
@@ -268,26 +277,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
     # one document speaks for all of an equal set
     reps = cut(usable.groupBy("identity").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    entry = lambda low, high: F.explode(F.slice("sketch", low, high - low + 1))
-    shallow = cut(reps.select("rep", "n", entry(1, KEYS).alias("value")), "lists")
-    short, long = _split(shallow)
-    candidates = [_pairs(short)]
-    # documents that lack short lists look at the rest of their sketch
-    lacking = long.groupBy("rep", "n").agg(F.count("*").alias("common")).filter(_too_few_short(F.least(F.col("n"), F.lit(KEYS)), F.col("common")))
-    lacking = cut(lacking.select("rep").distinct(), "lists-lacking")
-    deep = cut(reps.join(lacking, "rep", "left_semi").select("identity", "rep", "n", entry(1, DEEP_KEYS).alias("value")), "lists-deep")
-    deep_short, deep_long = _split(deep)
-    candidates.append(_pairs(deep_short))
-    # those that lack them even so keep as many of their rarest long lists as linked ones need to meet in one
-    values = F.least(F.col("n"), F.lit(DEEP_KEYS))
-    ranked = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("value").alias("at"), "value")))
-    still = deep_long.groupBy("identity", "rep", "n").agg(F.count("*").alias("common"), ranked.alias("lists")).filter(_too_few_short(values, F.col("common")))
+    shallow = cut(_with_length(reps.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))), "lists")
+    candidates = _pairs(shallow.filter("df is null"))
+    # documents that lack short lists look at their whole sketch
+    lacking = shallow.filter("df is not null").groupBy("rep", "n").agg(F.count("*").alias("common")).filter(_too_few_short(F.least(F.col("n"), F.lit(KEYS)), F.col("common")))
+    of_doc, parts = _parts(reps.join(cut(lacking.select("rep"), "lists-lacking"), "rep", "left_semi"))
+    deep = cut(_with_length(parts.select("part", "times", F.explode("values").alias("value")), "times"), "lists-deep")
+    of_part = deep.groupBy("part").agg(
+        F.collect_list(F.when(F.col("df").isNull(), F.col("value"))).alias("short"),
+        F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", F.xxhash64("value").alias("at"), "value"))).alias("lists"),
+    )
+    marked = cut(of_doc.join(of_part, "part"), "sketch-parts-marked")
+    candidates = candidates.unionByName(_pairs(marked.select(F.explode("short").alias("value"), "rep", "n")))
+    # those that lack short lists even so keep as many of their rarest long lists as linked ones need to meet in one
+    values = F.least(F.col("n"), F.lit(SKETCH))
+    ranked = F.array_sort(F.flatten(F.collect_list("lists")))
+    still = marked.groupBy("rep", "n").agg(ranked.alias("lists")).withColumn("common", F.size("lists")).filter(_too_few_short(values, F.col("common")))
     prefix = F.slice("lists", F.lit(1), (_may_lack(values) + 1 - (values - F.col("common"))).cast("int"))
     keys = cut(still.select("rep", "n", F.posexplode(F.reverse(prefix)).alias("nth", "k")).select("rep", "n", "nth", "k.value"), "lists-common")
-    pairs = candidates[0]
-    for c in candidates[1:]:
-        pairs = pairs.unionByName(c)
-    estimated = cut(_estimated(pairs.distinct(), reps), "estimates")
+    estimated = cut(_estimated(candidates.distinct(), reps), "estimates")
     wanted = estimated.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(keys.select("rep")).distinct()
     sets = cut(_sets_of(docs, cut(wanted, "wanted")), "sets")
     # first the best candidate of each document
