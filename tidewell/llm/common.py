@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no shared folder (tests, a laptop).
+#: Only used by a session of one machine that names no shared folder (tests, a laptop).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows in an Arrow batch that goes to Python; texts may be long, so batches are short.
 ARROW_ROWS = 512
@@ -17,7 +17,10 @@ ARROW_ROWS = 512
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -31,22 +34,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; empty batches are skipped."""
-    short_batches(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """``mapInArrow`` for a function of one batch of at most ``rows`` rows; empty batches are skipped. A batch may be
+    larger on its way, as the session says, and is cut where it arrives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

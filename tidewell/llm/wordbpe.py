@@ -33,7 +33,7 @@ class WordEncoder:
         self.capacity = capacity
         self.known: dict[bytes, bytes] = {}
 
-    def _library_ids(self, parts: list[bytes]) -> list[bytes]:
+    def library_ids(self, parts: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8", "replace") for p in parts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -48,7 +48,7 @@ class WordEncoder:
                 wanted.update(dict.fromkeys(x for x in split[part] if x not in self.known))
             else:
                 wanted[part] = None
-        fresh = dict(zip(wanted, self._library_ids(list(wanted)), strict=True)) if wanted else {}
+        fresh = dict(zip(wanted, self.library_ids(list(wanted)), strict=True)) if wanted else {}
         look = lambda p: self.known[p] if p in self.known else fresh[p]
         for part, (stem, signs) in split.items():
             fresh[part] = look(stem) + look(signs)
