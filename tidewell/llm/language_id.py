@@ -2,7 +2,8 @@
 
 For each language a raw-content zstandard dictionary is filled from a bounded sample of labelled documents. A text is
 encoded with every dictionary, block by block so that the dictionary counts everywhere in it; the language with the
-smallest total wins, and a narrow margin to the second is a rejection.
+smallest total wins, and a narrow margin to the second is a rejection. The sample is bounded in documents of each
+language and in the bytes of a dictionary, and languages in number; the documents of the sample teach by whole texts.
 """
 
 from __future__ import annotations
@@ -16,39 +17,46 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches
 
-#: The classifier's sample: documents of each language (expected number), signs of each, bytes of a dictionary.
-SAMPLE_DOCUMENTS = 600
-SAMPLE_SIGNS = 300
+#: The classifier's sample: documents of each language (expected number), bytes of a dictionary, most languages.
+SAMPLE_DOCUMENTS = 100
 DICTIONARY_BYTES = 1 << 17
+MOST_LANGUAGES = 500
 BLOCK_BYTES = 1 << 11
 LEVEL = 9
 #: A text is rejected where its best total isn't below the second by this share.
 NARROW = 0.003
 FOLDS = 3
 NONE = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Word signs that aren't decimal digits; some are numbers, so that each is asked whether it is a letter.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
+ADDED = ("lang_pred", "score", "rejected")
 HASH_SPAN = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def learn_dictionaries(docs: DataFrame, usable: Column, sample_documents: int = SAMPLE_DOCUMENTS) -> dict[str, bytes]:
     """Language -> dictionary content, from rows of (doc_id, text, lang) where ``usable``.
 
     The sample is drawn by a hash of the id at a rate set by each language's number of rows, so languages are about
-    equally large and what reaches the driver is bounded by languages x SAMPLE_DOCUMENTS x SAMPLE_SIGNS.
+    equally large; what reaches the driver is bounded by languages x SAMPLE_DOCUMENTS x DICTIONARY_BYTES. More than
+    MOST_LANGUAGES are an error.
     """
     labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = {r["lang"]: min(HASH_SPAN, -(-sample_documents * HASH_SPAN // r["count"])) for r in labelled.groupBy("lang").count().collect()}
+    rates = {r["lang"]: min(HASH_SPAN, -(-sample_documents * HASH_SPAN // r["count"])) for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(rates) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not rates:
         return {}
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_SPAN))
     rate = F.element_at(F.create_map(*[x for lang, n in rates.items() for x in (F.lit(lang), F.lit(n))]), F.col("lang"))
-    length = F.length("text")
-    begin = F.when(length > SAMPLE_SIGNS, F.pmod(F.xxhash64("doc_id", F.lit(1)), length - SAMPLE_SIGNS)).otherwise(F.lit(0)).cast("int") + 1
-    sample = labelled.filter(drawn < rate).select("lang", drawn.alias("drawn"), "doc_id", F.substring("text", begin, F.lit(SAMPLE_SIGNS)).alias("part"))
+    sample = labelled.filter(drawn < rate).select("lang", drawn.alias("drawn"), "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))  # more than all a dictionary holds
     parts: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["drawn"], r["doc_id"] or 0, r["part"])):
-        if LETTER.search(r["part"]):
-            parts.setdefault(r["lang"], []).append(r["part"])
+    for r in sorted(sample.collect(), key=lambda r: (r["drawn"], r["doc_id"] or 0, r["text"])):
+        if has_letter(r["text"]):
+            parts.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(texts).lower().encode()[:DICTIONARY_BYTES] for lang, texts in parts.items()}
 
 
@@ -70,7 +78,7 @@ class Compressors:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). The score is the share by which the best total undercuts the second."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return NONE, 0.0, True
         totals = self.totals(text)
         best = min(range(len(totals)), key=lambda i: (totals[i], i))
@@ -84,7 +92,8 @@ _COMPRESSORS: dict[str, Compressors] = {}
 
 
 def with_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; only the text is looked at."""
+    """``docs`` with lang_pred, score and rejected (columns of these names give way); only the text is looked at."""
+    docs = docs.drop(*ADDED)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     key = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages x DICTIONARY_BYTES

@@ -4,7 +4,7 @@ Every source's share of the mix becomes an inclusion rate for its documents: who
 probability for one more. The cube method rounds the probabilities so that the totals of words and of documents stay
 what they were: in the flight, three documents at a time move along the null vector of both constraints until one of
 them is settled. Flights run in blocks of each source; the few documents that a block leaves open meet in blocks of
-the next level, until one small landing problem for each source is solved by enumeration.
+the next level, until one small landing problem for each source is solved by enumeration, and evened out by single documents.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ MOST_COPIES = 2
 BLOCK_DOCUMENTS = 4096
 #: Open documents that a block leaves; 2 ** LANDING subsets are tried in the end.
 LANDING = 10
+MOST_TURNS = 64
 EPSILON = 1e-9
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -87,7 +88,8 @@ def flight(sizes: np.ndarray, chance: np.ndarray, rng: random.Random, leave: int
 
 
 def landing(sizes: np.ndarray, chance: np.ndarray, owed: float) -> np.ndarray:
-    """Settle the fractional documents by the subset whose words come nearest to what is owed, then whose number does."""
+    """Settle the fractional documents by the subset whose words come nearest to what is owed, then whose number does.
+    What a single large document leaves over is made up by turning settled ones, the best one at a time."""
     open_ = np.flatnonzero((chance > EPSILON) & (chance < 1 - EPSILON))
     if not len(open_):
         return chance
@@ -95,7 +97,14 @@ def landing(sizes: np.ndarray, chance: np.ndarray, owed: float) -> np.ndarray:
     words = np.abs(choice @ sizes[open_] - owed)
     number = np.abs(choice.sum(1) - chance[open_].sum())
     out = chance.copy()
-    out[open_] = choice[np.lexsort((number, words))[0]]
+    out[open_] = chosen = choice[np.lexsort((number, words))[0]]
+    rest = owed - float(chosen @ sizes[open_])
+    for _ in range(MOST_TURNS):
+        change = np.where(out > 0.5, -sizes, sizes)
+        best = int(np.argmin(np.abs(rest - change)))
+        if abs(rest - change[best]) >= abs(rest):
+            break
+        out[best], rest = 1 - out[best], rest - change[best]
     return out
 
 
@@ -160,15 +169,19 @@ def mix(docs: DataFrame) -> DataFrame:
     Null texts have size 0 and take 0; a null source is a source, ranked last. Repeated rows are taken each. If all
     sizes are 0 all targets are. An empty table gives no rows. Other columns are left out.
     """
-    sized = cut(sizes_of(docs, "doc_id").withColumn("key", F.xxhash64("doc_id", "size")), "mix-sizes")
+    # rows are dealt to blocks by a number that is written once, so that repeated rows are spread as others are
+    sized = cut(sizes_of(docs, "doc_id").withColumn("key", F.xxhash64(F.monotonically_increasing_id())), "mix-sizes")
     return copies_of(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken. Rows equal in id and text are one item."""
+    """The mix itself: ``docs`` with each row as often as it is taken. Rows equal in id, source and text are one item.
+    Other columns stay as they are, whatever their names."""
+    columns = docs.columns
     identity = F.xxhash64("doc_id", "text")
-    one = sizes_of(docs.withColumn("mix_identity", identity), "doc_id", "mix_identity")
+    one = sizes_of(docs.select("doc_id", "text", "source", identity.alias("mix_identity")), "doc_id", "mix_identity")
     items = cut(one.groupBy("has_source", "source_key", "doc_id", "mix_identity").agg(F.sum("size").alias("size")).withColumn("key", F.col("mix_identity")), "mix-items")
-    copies = copies_of(items).select(F.col("mix_identity").alias("taken_identity"), F.col("has_source").alias("taken_has"), F.col("source_key").alias("taken_source"), "copies").filter("copies > 0")
-    on = (F.col("taken_identity") == identity) & (F.col("taken_has") == F.col("source").isNotNull()) & (F.col("taken_source") == F.coalesce("source", F.lit("")))
-    return docs.join(copies, on).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    copies = copies_of(items).filter("copies > 0").select(F.struct("has_source", "source_key", F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "mix_identity").alias("item"), F.col("copies").cast("int").alias("times"))
+    item = F.struct(F.col("source").isNotNull().alias("has_source"), F.coalesce("source", F.lit("")).alias("source_key"), F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), identity.alias("mix_identity"))
+    rows = docs.select(F.struct(*columns).alias("row"), item.alias("item"))
+    return rows.join(copies, "item").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select([F.col("row")[c].alias(c) for c in columns])

@@ -205,7 +205,7 @@ def _table_bytes(rows: pd.DataFrame) -> bytes:
 
 def _pack(pieces: DataFrame, shards: int, level: int, capacity: int, **how: int) -> DataFrame:
     """Pack pieces by shards; adds sequence_id, offset and filled (tokens in the sequence)."""
-    by = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(level)), F.lit(shards))
+    by = F.pmod(F.xxhash64("nth", F.lit(level)), F.lit(shards))
     gathered = cut(pieces.withColumn("shard", by).groupBy("shard").applyInPandas(_gather, "shard long, sizes binary, items binary"), "packing-shards")
     best = _islands(gathered.select("shard", "sizes"), capacity, **how)
 
@@ -237,16 +237,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     each. An empty table gives no rows. Numbers of sequences differ between runs only where the input does.
     """
     how = {"islands": islands, "epochs": epochs, "population": population, "generations": generations}
-    pieces = cut(pieces_of(docs, vocabulary, capacity), "packing-pieces")
+    # pieces are dealt to shards by a number that is written once, so that repeated rows are spread as others are
+    pieces = cut(pieces_of(docs, vocabulary, capacity).withColumn("nth", F.monotonically_increasing_id()), "packing-pieces")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     shards = max(1, ceil(rest.count() / shard_pieces))
     packed = _pack(rest, shards, 1, capacity, **how)
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    columns = [*names, "sequence_id", "offset"]
     if shards == 1:
         return whole.select(columns).unionByName(packed.select(columns))
     packed = cut(packed, "packing-first")
     closed = F.col("filled") >= F.lit(CLOSED_SHARE * capacity)
-    pooled = packed.filter(~closed).select(pieces.columns)
+    pooled = packed.filter(~closed).select(*names, F.xxhash64("sequence_id", "offset").alias("nth"))
     again = _pack(pooled, max(1, ceil(pooled.count() / shard_pieces)), 2, capacity, **how)
     return whole.select(columns).unionByName(packed.filter(closed).select(columns)).unionByName(again.select(columns))

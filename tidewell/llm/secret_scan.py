@@ -4,7 +4,8 @@ Candidates are runs of at least ``SHORTEST`` signs of the usual encodings. The e
 base32, base36, base64), and three statistics measure departure from random symbols: chi-squared uniformity over the
 alphabet, runs above and below its middle, and lag-1 serial correlation. The null hypothesis is a *structured* string
 whose departure is at least a fixed effect; under it each statistic shifts with the length, so a short string can't
-earn a small p-value. Stouffer's sum combines the three. Benjamini-Hochberg runs in each stratum of length and
+earn a small p-value. Stouffer's sum, divided by
+its deviation under the statistics' correlation, combines the three. Benjamini-Hochberg runs in each stratum of length and
 encoding over the candidates of the whole corpus, from a histogram of p-values of fixed size.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, needs
-from .spans import SPAN, base_of, count_of, digest, free_of, joined
+from .spans import SPAN, Taken, base_of, count_of, digest, joined
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,6 +41,10 @@ ALPHABETS = {
 ENCODINGS = list(ALPHABETS)
 #: Least departure that a structured string is taken to have: excess of sum(p^2)*k over 1, and shifts per sqrt(length).
 CHI_EFFECT, RUNS_EFFECT, SERIAL_EFFECT = 1.0, 0.5, 0.5
+#: Runs and serial correlation both tell how a symbol depends on the one before it. For uniform symbols the correlation
+#: of a symbol with its half of the alphabet is sqrt(3) / 2, so that of the two statistics is 3 / 4; the sum of all
+#: three has this standard deviation.
+DEVIATION = math.sqrt(3 + 2 * 0.75)
 #: Upper bounds of the strata of length.
 LENGTHS = (32, 48, 64, 1 << 30)
 FALSE_DISCOVERY_RATE = 0.01
@@ -94,7 +99,7 @@ def structured_p(s: str, encoding: str) -> float:
     serial = abs(float((d[1:] * d[:-1]).sum()) / square + 1 / n) * math.sqrt(n) if square else math.sqrt(n)
     z_serial = serial - SERIAL_EFFECT * math.sqrt(n)
     worst = max(z_chi, z_runs, z_serial)
-    return _normal_below(worst if worst > 0 else (z_chi + z_runs + z_serial) / math.sqrt(3))  # one test that speaks for structure decides
+    return _normal_below(worst if worst > 0 else (z_chi + z_runs + z_serial) / DEVIATION)  # one test that speaks for structure decides
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,11 +116,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str) -> list[dict]:
     base = base_spans(text)
     out = [{"start": a, "kind": k, "end": b, "base": True, "group": 0, "level": 0} for a, k, b in base]
-    taken = [(a, b) for a, _, b in base]
+    taken = Taken([(a, b) for a, _, b in base])
     for m in CANDIDATE.finditer(text):
         if not (encoding := inferred_encoding(m[0])):
             continue
-        if not free_of(m.start(), m.end(), taken):
+        if not taken.leaves(m.start(), m.end()):
             continue
         p = structured_p(m[0], encoding)
         level = min(MAX_LEVEL, int(-LEVELS_PER_DECADE * math.log10(max(p, 1e-300))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,18 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def free_of(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    """Whether start:end overlaps none of the spans taken."""
-    return all(end <= a or b <= start for a, b in taken)
+class Taken:
+    """Spans of a text, joined where they overlap; tells in logarithmic time whether another one overlaps any."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.begins, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def leaves(self, start: int, end: int) -> bool:
+        i = bisect_left(self.begins, end) - 1  # the last that begins before the end
+        return i < 0 or self.ends[i] <= start
