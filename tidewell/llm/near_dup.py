@@ -9,9 +9,10 @@ sketch. The union-sketch estimate filters candidates, and exact Jaccard similari
 the best candidate of each document, then only candidates that would still join two components.
 
 Documents whose values are nearly all common - large groups of near copies or long templates - are compared exactly:
-of their sketch they keep so many of the rarest values that two linked ones have one in common, and every list of such
-a value that still holds several components is cut into bands of size and blocks. Each cell, a pair of blocks, counts
-the common shingles of all its pairs of full sets at once and passes on a spanning forest of the links it finds.
+of their sketch they keep so many of the rarest values that two linked ones have one in common. Every list of such a
+value that still holds several components is cut into bands of size and blocks; large parts of a list that meet in
+another one, the first of all their lists, are only compared with the rest. Each cell, a pair of blocks, counts the
+common shingles of all its pairs of full sets at once and passes on a spanning forest of the links it finds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, needs, utf8
@@ -39,8 +40,8 @@ LACKING = 1 - SIMILAR_PERCENT / 100
 LONGEST_LIST = 32
 #: Base of the bands of size: linked sets are in the same or in neighbouring ones, as it is over 1 / J.
 BAND = 1.18
-#: Documents and shingles in a block of a long list; lists up to WHOLE documents or PARTS blocks are cut finer.
-BLOCK, BLOCK_SHINGLES, WHOLE, PARTS = 1024, 1 << 21, 128, 8
+#: Documents and shingles in a block of a long list; lists up to WHOLE documents aren't cut into bands.
+BLOCK, BLOCK_SHINGLES, WHOLE = 1024, 1 << 21, 128
 #: Common shingles are counted one by one where few pairs have them, else by products of so many columns.
 FEW_PAIRS, COLUMNS = 64, 2048
 #: Candidates whose estimate is this many standard deviations below the threshold are dropped.
@@ -101,24 +102,32 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cells(keys: DataFrame) -> DataFrame:
-    """value, band, next, i, j, right, rep: the cells that each member of a list (rep, n, value) is in. Any two members
-    whose sizes allow a link meet in one: two blocks of a band (i <= j), or one of a band and one of the next."""
+    """value, band, next, i, j, right, rep: the cells that each member of a list (rep, n, value, first) is in. Any two
+    members whose sizes allow a link, and that don't have the same other first list, in which they meet as well, meet
+    in one cell: two blocks of a band (i <= j), or one of a band and one of the next."""
     whole = keys.groupBy("value").agg((F.count("*") <= WHOLE).alias("small"), F.sum("n").alias("all_n"))
     band = F.when(F.col("small") & (F.col("all_n") <= BLOCK_SHINGLES), F.lit(-1)).otherwise(F.floor(F.log("n") / F.log(F.lit(BAND)))).cast("int")
-    banded = keys.join(whole, "value").select("value", "rep", "n", band.alias("band"))
+    banded = keys.join(whole, "value").select("value", "rep", "n", band.alias("band"), F.when(F.col("first") != F.col("value"), F.col("first")).alias("first"))
+    # many with one other first list keep to themselves: no cell of theirs holds two of them
+    own = banded.filter("first is not null").groupBy("value", "band", "first").agg(F.count("*").alias("m")).filter(F.col("m") >= BLOCK // 2).select("value", "band", "first", F.col("first").alias("settled"))
+    banded = banded.join(own, ["value", "band", "first"], "left").select("value", "band", "rep", "n", F.struct(F.col("settled").isNotNull().alias("yes"), F.coalesce("settled", F.lit(0)).alias("list")).alias("settled"))
     m = F.count("*")
-    blocks = F.greatest(F.ceil(m / BLOCK), F.least(F.lit(PARTS), F.ceil(m / WHOLE)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    of_band = banded.groupBy("value", "band").agg(blocks.alias("blocks"))
+    blocks = F.greatest(F.ceil(m / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    kinds = banded.groupBy("value", "band", "settled").agg(blocks.alias("own"))
+    of_band = kinds.groupBy("value", "band").agg(F.sum("own").cast("int").alias("blocks"))
     beside = lambda name, step: of_band.select("value", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    around = of_band.join(beside("above", 1), ["value", "band"], "left").join(beside("below", -1), ["value", "band"], "left")
-    placed = banded.join(around.na.fill(0, ["above", "below"]), ["value", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    around = of_band.join(beside("above", 1), ["value", "band"], "left").join(beside("below", -1), ["value", "band"], "left").na.fill(0, ["above", "below"])
+    upto_here = F.sum("own").over(Window.partitionBy("value", "band").orderBy("settled"))
+    numbered = kinds.withColumn("low", (upto_here - F.col("own")).cast("int")).join(around, ["value", "band"])
+    placed = banded.join(numbered, ["value", "band", "settled"]).withColumn("block", F.col("low") + F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
     upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k < F.col(n))
     cell = lambda band, next_, i, j, right: F.struct(band.alias("band"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"), right.alias("right"))
-    at, own = F.col("block"), F.col("band")
+    at, here = F.col("block"), F.col("band")
+    others = F.filter(upto("blocks"), lambda k: ~F.col("settled.yes") | (k < F.col("low")) | (k >= F.col("low") + F.col("own")))
     cells = F.concat(
-        F.transform(upto("blocks"), lambda k: cell(own, False, F.least(at, k), F.greatest(at, k), k < at)),
-        F.transform(upto("above"), lambda k: cell(own, True, at, k, F.lit(False))),
-        F.transform(upto("below"), lambda k: cell(own - 1, True, k, at, F.lit(True))),
+        F.transform(others, lambda k: cell(here, False, F.least(at, k), F.greatest(at, k), k < at)),
+        F.transform(upto("above"), lambda k: cell(here, True, at, k, F.lit(False))),
+        F.transform(upto("below"), lambda k: cell(here - 1, True, k, at, F.lit(True))),
     )
     return placed.select("value", "rep", F.explode(cells).alias("c")).select("value", "c.*", "rep")
 
@@ -170,7 +179,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _settled(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join all members of a list of ``keys`` (rep, n, value) whose full sets are similar enough."""
+    """Links (a, b) that join all members of a list of ``keys`` (rep, n, value, first) whose full sets are similar enough."""
 
     def run(cell: pa.Table) -> pa.Table:
         ids, right = cell.column("rep").to_numpy(), cell.column("right").to_numpy()
@@ -285,16 +294,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     deep = cut(_with_length(parts.select("part", "times", F.explode("values").alias("value")), "times"), "lists-deep")
     of_part = deep.groupBy("part").agg(
         F.collect_list(F.when(F.col("df").isNull(), F.col("value"))).alias("short"),
-        F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", F.xxhash64("value").alias("at"), "value"))).alias("lists"),
+        F.collect_list(F.when(F.col("df").isNotNull(), F.struct(F.floor(F.log2("df")).alias("level"), F.xxhash64("value").alias("at"), "value"))).alias("lists"),
     )
     marked = cut(of_doc.join(of_part, "part"), "sketch-parts-marked")
     candidates = candidates.unionByName(_pairs(marked.select(F.explode("short").alias("value"), "rep", "n")))
-    # those that lack short lists even so keep as many of their rarest long lists as linked ones need to meet in one
+    # those that lack short lists even so keep as many of their rarest long lists (by powers of two, so that near copies
+    # agree on their first ones) as linked ones need to meet in one
     values = F.least(F.col("n"), F.lit(SKETCH))
     ranked = F.array_sort(F.flatten(F.collect_list("lists")))
     still = marked.groupBy("rep", "n").agg(ranked.alias("lists")).withColumn("common", F.size("lists")).filter(_too_few_short(values, F.col("common")))
     prefix = F.slice("lists", F.lit(1), (_may_lack(values) + 1 - (values - F.col("common"))).cast("int"))
-    keys = cut(still.select("rep", "n", F.posexplode(F.reverse(prefix)).alias("nth", "k")).select("rep", "n", "nth", "k.value"), "lists-common")
+    keys = cut(still.select("rep", "n", F.col("lists")[0]["value"].alias("first"), F.explode(prefix).alias("k")).select("rep", "n", "first", "k.value"), "lists-common")
     estimated = cut(_estimated(candidates.distinct(), reps), "estimates")
     wanted = estimated.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(keys.select("rep")).distinct()
     sets = cut(_sets_of(docs, cut(wanted, "wanted")), "sets")
@@ -309,12 +319,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
     open_ = estimated.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(apart).select("a", "b")
     more = cut(_verified(open_, sets), "links-more")
-    # long lists: at first each document in the longest of its own, which ties near copies, then all that hold several components
-    for lists in (keys.filter("nth = 0"), keys):
+    # long lists: at first each document in the first of its own, which ties most near copies, then all that hold several components
+    for lists in (keys.filter("value = first"), keys):
         if not more.isEmpty():
             links = links.unionByName(more)
             nodes = cut(connected_components(links), "components-now")
-        more = cut(_settled(cut(_open_lists(lists.select("rep", "n", "value"), nodes), "lists-open"), sets), "links-more")
+        more = cut(_settled(cut(_open_lists(lists, nodes), "lists-open"), sets), "links-more")
     if not more.isEmpty():
         nodes = connected_components(links.unionByName(more))
     labels = reps.join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("identity", F.coalesce("component", "rep").alias("component"))
