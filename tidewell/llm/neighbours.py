@@ -1,13 +1,15 @@
 """Operator 1: approximate nearest neighbours by stable projections.
 
 Unit vectors are projected onto a few Gaussian directions; Gaussians are 2-stable, so the squared distance of two
-projections over that of the vectors is chi-squared distributed. The projections of a block of vectors are indexed by
-a kd-tree. A query meets the tree's leaves in order of their least projected distance and verifies the vectors there
-by their true cosine, until the chi-squared test holds: a vector as near as the worst of the best found would, with the
-probability asked for, have had a smaller projected distance than any vector left.
+projections over that of the vectors is chi-squared distributed. The projections are indexed by a kd-tree. Its upper
+part, fitted on a bounded sample, deals all vectors to cells; its lower part is built over each block of a cell. A
+query meets the projected neighbours in order of their distance and verifies each by its true cosine, until the
+chi-squared test holds: a vector as near as the worst of the best found would, with the probability asked for, have
+had a smaller projected distance than any vector left.
 
-Equal vectors are one point that keeps as many of their smallest ids as a result can need. Blocks of the query set
-meet blocks of the index, one task for each index block; only the best of each block are brought together.
+A query first asks the cell that it would be in. With what it finds there it goes on to those other cells only whose
+box of projections the test doesn't rule out. Equal vectors are one point that keeps as many of their smallest ids as a
+result can need.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from .common import cut, map_batches
 
 NEAREST = 5
 QUERY_STEP = 50
-DIRECTIONS = 8
-LEAF = 32
-CONFIDENCE = 0.95
-#: Points of an index block, queries of a query block, and the least number of index blocks (so that tasks are even).
-BLOCK_POINTS, BLOCK_QUERIES, LEAST_BLOCKS = 16384, 2048, 33
+DIRECTIONS = 16
+LEAF = 64
+CONFIDENCE = 0.87
+#: Points of a block, most cells of the upper tree, points of the sample that it is fitted on (expected number).
+BLOCK_POINTS, MOST_CELLS, SAMPLE_POINTS = 16384, 4096, 1 << 16
+#: Queries that meet a block at once; shares of the limit up to which neighbours are verified in turn.
+BLOCK_QUERIES = 2048
+RINGS = (0.3, 0.5, 0.7, 0.85, 1.0)
 SPREAD = 64
 SEED = 20240817
 
@@ -49,6 +54,15 @@ def chi_squared_below(x: np.ndarray | float, m: int = DIRECTIONS) -> np.ndarray
     return 1 - np.exp(-half) * total
 
 
+def chi_squared_at(share: float, m: int = DIRECTIONS) -> float:
+    """Its quantile, by bisection."""
+    low, high = 0.0, 100.0 * m
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared_below(middle, m) < share else (low, middle)
+    return high
+
+
 def directions(size: int) -> np.ndarray:
     return np.random.default_rng([SEED, size]).standard_normal((size, DIRECTIONS))
 
@@ -73,33 +87,31 @@ def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return order, np.array(bounds), np.array(low), np.array(high)
 
 
-def search_block(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, query_ids: np.ndarray, nearest: int = NEAREST, confidence: float = CONFIDENCE) -> list[tuple[int, int, float]]:
-    """(query id, vector id, cosine): the best found of each query, without itself."""
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
     unit = vectors / np.abs(vectors).max(1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-    asked = queries / np.abs(queries).max(1, keepdims=True)
-    asked /= np.sqrt((asked * asked).sum(1, keepdims=True))
-    axes = directions(vectors.shape[1])
-    order, bounds, low, high = build_tree(unit @ axes)
-    unit, ids = unit[order], [ids[i] for i in order]
+    return unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+
+
+def search_block(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray | None = None, nearest: int = NEAREST, confidence: float = CONFIDENCE) -> tuple[list[tuple[int, int, float]], int]:
+    """(query id, vector id, cosine): the best found of each query, without itself; and how many vectors were verified.
+    ``bounds``: cosines that as many as asked for are known to reach (-2 where there are none yet)."""
+    unit, asked = unit_rows(vectors), unit_rows(queries)
+    axes, factor = directions(vectors.shape[1]), chi_squared_at(confidence)
+    points = unit @ axes
+    order, ends, low, high = build_tree(points)
+    unit, points, ids = unit[order], points[order], [ids[i] for i in order]
     lead = np.array([x[0] for x in ids])
+    square, leaf = (points * points).sum(1), np.repeat(np.arange(len(low)), np.diff(ends))
     out: list[tuple[int, int, float]] = []
-    projected = asked @ axes
-    for q, me, at in zip(asked, query_ids.tolist(), projected, strict=True):
+    verified = 0
+    for q, me, at, bound in zip(asked, query_ids.tolist(), asked @ axes, [-2.0] * len(asked) if bounds is None else bounds.tolist(), strict=True):
         gap = np.maximum(np.maximum(low - at, at - high), 0.0)
         reach = (gap * gap).sum(1)
-        by = np.argsort(reach, kind="stable")
         best: list[tuple[float, int]] = []
-        done, step = 0, 4
-        while done < len(by):
-            if len(best) >= nearest:
-                apart = max(2 - 2 * -best[nearest - 1][0], 0.0)
-                if reach[by[done]] > 0 and (apart <= 1e-12 or chi_squared_below(reach[by[done]] / apart) >= confidence):
-                    break
-            leaves = by[done : done + step]
-            done += step
-            step *= 2
-            rows = np.concatenate([np.arange(bounds[x], bounds[x + 1]) for x in leaves])
+
+        def verify(rows: np.ndarray, q: np.ndarray = q, me: int = me) -> None:
+            nonlocal best, verified
+            verified += len(rows)
             cosine = unit[rows] @ q
             if len(rows) > 2 * nearest + 2:  # a point's smallest id decides ties, and a query's own point may give no other
                 least = np.partition(cosine, len(cosine) - nearest - 1)[len(cosine) - nearest - 1]
@@ -107,33 +119,145 @@ def search_block(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray,
                 if len(kept) > 8 * nearest:
                     kept = kept[np.lexsort((lead[rows[kept]], -cosine[kept]))[: 8 * nearest]]
                 rows, cosine = rows[kept], cosine[kept]
-            best += [(-float(c), i) for r, c in zip(rows.tolist(), cosine.tolist(), strict=True) for i in ids[r] if i != me]
-            best = sorted(best)[:nearest]
+            best = sorted(best + [(-float(c), i) for r, c in zip(rows.tolist(), cosine.tolist(), strict=True) for i in ids[r] if i != me])[:nearest]
+
+        def limit(bound: float = bound) -> float:
+            """The projected distance, squared, from which the test holds."""
+            worst = max(-best[nearest - 1][0] if len(best) >= nearest else -2.0, bound)
+            return math.inf if worst < -1 else factor * max(2 - 2 * worst, 0.0) + 1e-12
+
+        opened = np.zeros(len(reach), bool)
+        if limit() == math.inf:  # nothing known yet: the nearest leaves
+            first = np.argsort(reach, kind="stable")[:2]
+            verify(np.concatenate([np.arange(ends[x], ends[x + 1]) for x in first]))
+            opened[first] = True
+        while len(leaves := np.flatnonzero((reach <= limit()) & ~opened)):
+            fresh = np.zeros(len(reach), bool)
+            fresh[leaves] = opened[leaves] = True
+            if len(leaves) * 4 > len(reach):
+                rows = np.flatnonzero(fresh[leaf])
+                apart = (square - 2 * (points @ at))[rows] + at @ at
+            else:
+                rows = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in leaves])
+                apart = square[rows] - 2 * (points[rows] @ at) + at @ at
+            waiting = apart <= limit()
+            rows, apart = rows[waiting], apart[waiting]
+            for ring in RINGS:  # each ring shrinks the limit of the next
+                near = apart <= ring * limit()
+                if near.any():
+                    verify(rows[near])
+                    rows, apart = rows[~near], apart[~near]
         out += [(me, i, min(1.0, max(-1.0, -c))) for c, i in best]
+    return out, verified
+
+
+# --- the upper tree
+
+
+def fit_cells(sample: np.ndarray, cells: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (axis, threshold, left, right) of a tree that splits the sample's widest sides at medians; a child below
+    0 is cell -1 - child. Cells are as even as the sample tells."""
+    nodes: list[tuple[int, float, int, int]] = []
+    made = 0
+
+    def grow(rows: np.ndarray, n: int) -> int:
+        nonlocal made
+        own = sample[rows]
+        width = own.max(0) - own.min(0) if len(rows) else np.zeros(1)
+        if n <= 1 or len(rows) < 2 or not width.any():
+            made += 1
+            return -made
+        axis, left = int(width.argmax()), n // 2
+        threshold = float(np.quantile(own[:, axis], left / n))
+        at, below = len(nodes), own[:, axis] < threshold
+        nodes.append((axis, threshold, 0, 0))
+        a, b = grow(rows[below], left), grow(rows[~below], n - left)
+        nodes[at] = (axis, threshold, a, b)
+        return at
+
+    grow(np.arange(len(sample)), cells)
+    return nodes
+
+
+def cells_of(nodes: list[tuple[int, float, int, int]], points: np.ndarray) -> np.ndarray:
+    """The cell of each point."""
+    out = np.zeros(len(points), np.int64)
+    waiting = [(0, np.arange(len(points)))] if nodes else []
+    while waiting:
+        at, rows = waiting.pop()
+        axis, threshold, left, right = nodes[at]
+        below = points[rows, axis] < threshold
+        for child, part in ((left, rows[below]), (right, rows[~below])):
+            if child < 0:
+                out[part] = -1 - child
+            elif len(part):
+                waiting.append((child, part))
     return out
 
 
-def _blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-    """One row for each (dims, block): the vectors as float64 bytes and their ids."""
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in chunks]).reshape(-1, dims)
+
+
+def _with_cell(rows: DataFrame, trees: dict[int, list]) -> DataFrame:
+    """``rows`` with the cell of their vector, by the tree for its length; lengths without one are one cell."""
+    sent = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = np.zeros(batch.num_rows, np.int64)
+        dims = batch.column("dims").to_numpy()
+        for size, nodes in sent.value.items():
+            here = np.flatnonzero(dims == size)
+            if len(here) and nodes:
+                cell[here] = cells_of(nodes, unit_rows(_matrix(batch.column("vector").take(pa.array(here)), size)) @ directions(size))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return map_batches(rows, run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", cell long", rows=4096)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """One row for each (dims, cell, part): vectors as float64 bytes, their ids, the box of their projections."""
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        values = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("vector").chunks])
+        values = _matrix(table.column("vector"), key[0].as_py())
+        points = unit_rows(values) @ directions(key[0].as_py())
         ids = table.column("ids").to_pylist()
-        flat, lengths = [i for x in ids for i in x], [len(x) for x in ids]
-        return pa.table(
-            {
-                "dims": pa.array([key[0].as_py()], pa.int32()),
-                size: pa.array([key[1].as_py()], pa.int64()),
-                f"{name}_vectors": pa.array([values.astype("<f8").tobytes()], pa.binary()),
-                f"{name}_ids": pa.array([flat], pa.list_(pa.int64())),
-                f"{name}_lengths": pa.array([lengths], pa.list_(pa.int32())),
-            }
-        )
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        one = (key[0].as_py(), key[1].as_py(), key[2].as_py(), values.astype("<f8").tobytes(), [i for x in ids for i in x], [len(x) for x in ids], points.min(0).tolist(), points.max(0).tolist())
+        return pa.table({n: pa.array([x], k) for n, x, k in zip(("dims", "cell", "part", "vectors", "ids", "lengths", "low", "high"), one, kinds, strict=True)})
+
+    return rows.groupBy("dims", "cell", "part").applyInArrow(gather, "dims int, cell long, part long, vectors binary, ids array<long>, lengths array<int>, low array<double>, high array<double>")
+
+
+def _searched(index: DataFrame, asked: DataFrame, nearest: int, confidence: float) -> DataFrame:
+    """query_id, vec_id, score: the best of each block that a query (query_id, vector, bound) is sent to (dims, cell)."""
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        values = _matrix(table.column("vector"), key[0].as_py())
+        one = (key[0].as_py(), key[1].as_py(), values.astype("<f8").tobytes(), table.column("query_id").to_pylist(), table.column("bound").to_pylist())
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        return pa.table({n: pa.array([x], k) for n, x, k in zip(("dims", "cell", "query_vectors", "query_ids", "bounds"), one, kinds, strict=True)})
+
+    groups = asked.groupBy("dims", "cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("groups"))
+    dealt = asked.join(groups, ["dims", "cell"]).withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")))
+    queries = dealt.groupBy("dims", "cell", "group").applyInArrow(gather, "dims int, cell long, query_vectors binary, query_ids array<long>, bounds array<double>")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple[int, int, float]] = []
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            own = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dims"])
+            ends = np.cumsum(r["lengths"]).tolist()
+            ids = [r["ids"][b - n : b] for b, n in zip(ends, r["lengths"], strict=True)]
+            found += search_block(own, ids, np.frombuffer(r["query_vectors"], "<f8").reshape(-1, r["dims"]), np.array(r["query_ids"]), np.array(r["bounds"]), nearest, confidence)[0]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return rows.groupBy("dims", size).applyInArrow(gather, f"dims int, {size} long, {name}_vectors binary, {name}_ids array<long>, {name}_lengths array<int>")
+    pairs = index.select("dims", "cell", "vectors", "ids", "lengths").join(queries, ["dims", "cell"])
+    return map_batches(pairs, run, "query_id long, vec_id long, score double", rows=1)
 
 
-def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest: int = NEAREST, confidence: float = CONFIDENCE) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest: int = NEAREST, confidence: float = CONFIDENCE, block_points: int = BLOCK_POINTS) -> DataFrame:
     """query_id, rank, vec_id, score: for every usable row of ``vectors`` (vec_id, embedding) whose id is divisible by
     ``query_step``, its nearest others by cosine, ties to the smaller id; fewer if there are fewer.
 
@@ -146,23 +270,43 @@ def nearest_neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, nearest
     first = rows.dropDuplicates(["vec_id", "vector"]).withColumn("salt", salt).withColumn("n", F.row_number().over(Window.partitionBy("vector", "salt").orderBy("vec_id"))).filter(F.col("n") <= kept)
     second = first.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("n") <= kept)
     points = cut(second.groupBy("vector", "dims").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
-    blocks = max(LEAST_BLOCKS, ceil(points.count() / BLOCK_POINTS))
-    index = cut(_blocks(points.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks))), "block", "index"), "index")
-    asked = rows.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id", "vector"]).select("vector", "dims", F.array("vec_id").alias("ids"))
-    groups = max(1, ceil(points.count() / query_step / BLOCK_QUERIES))
-    queries = _blocks(asked.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups))), "part", "query")
-    pairs = index.join(queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long")), ["dims", "block"])
+    sizes = {r["dims"]: r["n"] for r in points.groupBy("dims").agg(F.count("*").alias("n")).filter(F.col("n") > block_points).collect()}  # lengths that need a tree
+    drawn = F.pmod(F.xxhash64("vector", F.lit(SEED)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_POINTS / max(1, sum(sizes.values())))))
+    sample: dict[int, list] = {}
+    for r in points.filter(F.col("dims").isin(list(sizes)) & drawn).select("dims", "vector").collect():  # SAMPLE_POINTS or so
+        sample.setdefault(r["dims"], []).append(r["vector"])
+    trees = {d: fit_cells(unit_rows(np.array(v)) @ directions(d), min(MOST_CELLS, ceil(sizes[d] / block_points))) for d, v in sample.items()}
+    placed = cut(_with_cell(points, trees), "points-placed")
+    parts = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / block_points).alias("parts"))
+    index = cut(_gathered(placed.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts"))).select("vector", "dims", "ids", "cell", "part")), "index")
+    asked = rows.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id", "vector"]).select(F.col("vec_id").alias("query_id"), "vector", "dims")
+    asked = cut(_with_cell(asked, trees), "queries")
+    home = cut(_searched(index, asked.withColumn("bound", F.lit(-2.0)), nearest, confidence), "found-home")
+    if not trees:
+        return _best(home, nearest)
+    ends = [f(F.col(side)[i]).alias(f"{side}{i}") for side, f in (("low", F.min), ("high", F.max)) for i in range(DIRECTIONS)]
+    boxes = index.filter(F.col("dims").isin(list(trees))).groupBy("dims", "cell").agg(*ends).collect()  # MOST_CELLS at most a length
+    sent = vectors.sparkSession.sparkContext.broadcast({d: tuple(np.array([[r[f"{side}{i}"] for i in range(DIRECTIONS)] for r in boxes if r["dims"] == d]) for side in ("low", "high")) + (np.array([r["cell"] for r in boxes if r["dims"] == d]),) for d in trees})
+    known = home.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    bound = F.when(F.size("scores") >= nearest, F.col("scores")[nearest - 1]).otherwise(F.lit(-2.0))
+
+    def admitted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The other cells of each query that the test doesn't rule out."""
+        factor, dims, out = chi_squared_at(confidence), batch.column("dims").to_numpy(), [[] for _ in range(batch.num_rows)]
+        worst, own = batch.column("bound").to_numpy(), batch.column("cell").to_numpy()
+        for d, (low, high, cells) in sent.value.items():
+            for i in np.flatnonzero(dims == d).tolist():
+                at = (unit_rows(np.array(batch.column("vector")[i].as_py())[None, :]) @ directions(d))[0]
+                gap = np.maximum(np.maximum(low - at, at - high), 0.0)
+                limit = math.inf if worst[i] < -1 else factor * max(2 - 2 * worst[i], 0.0) + 1e-12
+                out[i] = cells[((gap * gap).sum(1) <= limit) & (cells != own[i])].tolist()
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("query_id", "vector", "dims", "bound")] + [pa.array(out, pa.list_(pa.int64()))], ["query_id", "vector", "dims", "bound", "cells"])
+
+    waiting = asked.join(known, "query_id", "left").withColumn("bound", F.coalesce(bound, F.lit(-2.0))).select("query_id", "vector", "dims", "cell", "bound")
+    onward = map_batches(waiting, admitted, "query_id long, vector array<double>, dims int, bound double, cells array<long>").withColumn("cell", F.explode("cells")).drop("cells")
+    return _best(home.unionByName(_searched(index, onward, nearest, confidence)), nearest)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[tuple[int, int, float]] = []
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            own = np.frombuffer(r["index_vectors"], "<f8").reshape(-1, r["dims"])
-            ends = np.cumsum(r["index_lengths"]).tolist()
-            ids = [r["index_ids"][b - n : b] for b, n in zip(ends, r["index_lengths"], strict=True)]
-            found += search_block(own, ids, np.frombuffer(r["query_vectors"], "<f8").reshape(-1, r["dims"]), np.array(r["query_ids"]), nearest, confidence)
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = map_batches(pairs.select("dims", "index_vectors", "index_ids", "index_lengths", "query_vectors", "query_ids"), run, "query_id long, vec_id long, score double")
+def _best(found: DataFrame, nearest: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
