@@ -28,7 +28,7 @@ NEAREST = 5
 QUERY_STEP = 50
 DIRECTIONS = 16
 LEAF = 64
-CONFIDENCE = 0.87
+CONFIDENCE = 0.91
 #: Points of a block, most cells of the upper tree, points of the sample that it is fitted on (expected number).
 BLOCK_POINTS, MOST_CELLS, SAMPLE_POINTS = 16384, 4096, 1 << 16
 #: Queries that meet a block at once; shares of the limit up to which neighbours are verified in turn.
