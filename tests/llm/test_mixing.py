@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidewell.llm.mixing import mix, take
+from tidewell.llm.mixing import landing, mix, take
 
 
 def targets(sizes, weights=(3, 1, 2)):
@@ -72,3 +72,25 @@ def test_take_repeats_rows(spark):
     assert taken.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 2 and taken.count() > docs.count()
+
+
+def test_repeated_rows_are_spread(spark, make_docs, monkeypatch):
+    """Equal rows without ids fall into many blocks, and are taken as the target says."""
+    import tidewell.llm.mixing as m
+
+    monkeypatch.setattr(m, "BLOCK_DOCUMENTS", 100)
+    docs = make_docs([(None, "four words of text", "en", "hot", 1) for _ in range(3000)] + [(i, "other words " * (i % 7), "en", "b", 1) for i in range(300)])
+    seen = []
+    real = m.cut
+    monkeypatch.setattr(m, "cut", lambda df, label: (seen.append(df.groupBy("source_key", "key").count().agg({"count": "max"}).first()[0]) if label == "mix-sizes" else None, real(df, label))[1])
+    check(docs.collect(), m.mix(docs).collect())
+    assert seen == [1]
+
+
+def test_landing_evens_out_a_large_document():
+    import numpy as np
+
+    sizes = np.array([9000.0, 10, 12, 9] + [100 + i for i in range(200)])
+    chance = np.array([0.4, 0.5, 0.5, 0.2] + [float(i % 2) for i in range(200)])
+    out = landing(sizes, chance, float((chance * sizes)[:4].sum()))
+    assert set(out.tolist()) <= {0.0, 1.0} and abs((out * sizes).sum() - (chance * sizes).sum()) <= 60

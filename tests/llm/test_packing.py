@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 from math import ceil
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewell.llm.packing import pack
+from tidewell.llm.packing import _islands, _load, best_fit, pack
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,3 +39,37 @@ def test_real_texts(spark, shard):
 def test_awkward_rows(spark, awkward):
     check(awkward, pack(awkward, capacity=64, shard_pieces=3).collect(), 64)
     assert pack(awkward.limit(0)).collect() == []
+
+
+def hard(kind, seed, bins=60, capacity=2048):
+    """Sizes that best fit packs badly: three that fill a bin exactly, or thirds plus or minus a little."""
+    r, out = random.Random(seed), []
+    for _ in range(bins):
+        if kind == "triplets":
+            a = r.randint(int(0.38 * capacity), int(0.49 * capacity))
+            b = r.randint(capacity // 4, (capacity - a) // 2)
+            out += [a, b, capacity - a - b]
+        else:
+            out += [capacity // 3 + r.randint(-60, 60) for _ in range(3)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["triplets", "thirds"])
+def test_islands_pack_what_best_fit_does_not(spark, kind):
+    all_sizes = [hard(kind, seed) for seed in range(3)]
+    shards = spark.createDataFrame([(i, bytearray(np.array(s, "<i4").tobytes())) for i, s in enumerate(all_sizes)], "shard long, sizes binary")
+    for r in _islands(shards, 2048, 2, 2, 6, 20).collect():
+        sizes, bins = all_sizes[r.shard], _load(bytes(r.elite))
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(0 < sum(sizes[i] for i in b) <= 2048 for b in bins)
+        assert len(bins) <= 64 < 67 <= len(best_fit(sizes, list(range(len(sizes))), [], 2048))
+
+
+def test_repeated_rows_are_spread(spark, make_docs):
+    """Thousands of equal rows, most without an id: no shard holds many of them."""
+    docs = make_docs([(None if i % 3 else 5, "seven words that are all the same", "en", "s", 1) for i in range(6000)])
+    rows = pack(docs, capacity=64, shard_pieces=200).collect()
+    check(docs, rows, 64)
+    shards = defaultdict(int)
+    for r in rows:
+        shards[(r.sequence_id >> 56, r.sequence_id >> 24 & 0xFFFFFFFF)] += 1
+    assert max(n for (level, _), n in shards.items() if level == 1) < 400

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from math import ceil
 
 import numpy as np
@@ -25,9 +26,9 @@ from .wordbpe import encoder
 CAPACITY = 2048
 SHARD_PIECES = 2048
 ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+EPOCHS = 3
+POPULATION = 8
+GENERATIONS = 40
 #: A shard's sequence filled less than this goes to the common pool.
 CLOSED_SHARE = 0.97
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -83,6 +84,38 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
     return bins
 
 
+def pair_fit(sizes: list[int], items: list[int], capacity: int, rng: random.Random | None = None) -> list[list[int]]:
+    """Bins one after another: the largest item left (or a random one), then again and again the item or the pair that
+    leaves the least room free."""
+    left = sorted(items, key=lambda i: (sizes[i], i))
+    length = [sizes[i] for i in left]
+    bins: list[list[int]] = []
+
+    def take(at: int) -> int:
+        del length[at]
+        return left.pop(at)
+
+    while left:
+        held = [take(rng.randrange(len(left)) if rng else len(left) - 1)]
+        free = capacity - sizes[held[0]]
+        while left and length[0] <= free:
+            high = bisect_right(length, free) - 1
+            best, pair = length[high], (high,)
+            low, top = 0, high
+            while low < top and best < free:  # the pair that comes nearest, from both ends
+                both = length[low] + length[top]
+                if both > free:
+                    top -= 1
+                else:
+                    if both > best:
+                        best, pair = both, (top, low)
+                    low += 1
+            held += [take(at) for at in pair]
+            free -= best
+        bins.append(held)
+    return bins
+
+
 def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then Falkenauer's measure: uneven fill is better than even fill."""
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
@@ -98,19 +131,32 @@ def crossover(sizes: list[int], donor: list[list[int]], receiver: list[list[int]
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
-    return best_fit(sizes, displaced, injected + kept, capacity)
+    return refit(sizes, displaced, injected + kept, capacity, rng)
+
+
+def refit(sizes: list[int], displaced: list[int], bins: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+    """Best fit of the displaced into ``bins``; what would open new ones is packed by pairs where that takes fewer."""
+    kept = len(bins)
+    bins = best_fit(sizes, displaced, bins, capacity)
+    opened = [i for b in bins[kept:] for i in b]
+    by_pairs = pair_fit(sizes, opened, capacity, rng if rng.random() < 0.5 else None)
+    return bins[:kept] + by_pairs if len(by_pairs) <= len(bins) - kept else bins
 
 
 def mutate(sizes: list[int], bins: list[list[int]], rng: random.Random, capacity: int) -> list[list[int]]:
     """Dissolve the worst-filled bins and a few others."""
     order = sorted(range(len(bins)), key=lambda b: sum(sizes[i] for i in bins[b]))
-    gone = set(order[:2]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 20))}
-    return best_fit(sizes, [i for b in gone for i in bins[b]], [list(b) for k, b in enumerate(bins) if k not in gone], capacity)
+    gone = set(order[: 2 + len(bins) // 20]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 20))}
+    return refit(sizes, [i for b in gone for i in bins[b]], [list(b) for k, b in enumerate(bins) if k not in gone], capacity, rng)
 
 
 def founders(sizes: list[int], rng: random.Random, capacity: int, count: int) -> list[list[list[int]]]:
+    """Best fit of all; where that can be better, packings by pairs, and best fit of random halves one behind the other."""
     out = [best_fit(sizes, list(range(len(sizes))), [], capacity)]
-    while len(out) < count:
+    while len(out) < count and len(out[0]) > ceil(sum(sizes) / capacity):
+        if len(out) % 2:
+            out.append(pair_fit(sizes, list(range(len(sizes))), capacity, rng if len(out) > 1 else None))
+            continue
         first = [i for i in range(len(sizes)) if rng.random() < 0.5]
         chosen = set(first)
         out.append(best_fit(sizes, [i for i in range(len(sizes)) if i not in chosen], best_fit(sizes, first, [], capacity), capacity))
@@ -124,8 +170,11 @@ def evolve(sizes: list[int], population: list[list[list[int]]], rng: random.Rand
     for _ in range(generations):
         if len(ranked[0]) <= least:
             break
-        donor, receiver = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
-        child = mutate(sizes, crossover(sizes, ranked[donor], ranked[receiver], rng, capacity), rng, capacity)
+        # tournaments of two; a parent alone is its own mate
+        donor, receiver = (min(rng.sample(range(len(ranked)), 2)) if len(ranked) > 1 else 0 for _ in range(2))
+        child = crossover(sizes, ranked[donor], ranked[receiver], rng, capacity)
+        if donor == receiver or rng.random() < 0.6:
+            child = mutate(sizes, child, rng, capacity)
         if fitness(sizes, child, capacity) > fitness(sizes, ranked[-1], capacity):
             ranked[-1] = child
             ranked.sort(key=lambda p: fitness(sizes, p, capacity), reverse=True)
