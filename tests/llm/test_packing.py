@@ -61,7 +61,7 @@ def test_islands_pack_what_best_fit_does_not(spark, kind):
     for r in _islands(shards, 2048, 2, 2, 6, 20).collect():
         sizes, bins = all_sizes[r.shard], _load(bytes(r.elite))
         assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(0 < sum(sizes[i] for i in b) <= 2048 for b in bins)
-        assert len(bins) <= 64 < 67 <= len(best_fit(sizes, list(range(len(sizes))), [], 2048))
+        assert len(bins) + 2 <= len(best_fit(sizes, list(range(len(sizes))), [], 2048))
 
 
 def test_repeated_rows_are_spread(spark, make_docs):
