@@ -44,6 +44,13 @@ def test_no_boundary_at_all_widens_to_the_end():
     assert len(got) == 1 and np.frombuffer(got[0], "<u4").tolist() == expected(t)
 
 
+def test_digits_part_a_text_without_white_space():
+    r = random.Random(3)
+    t = "".join(r.choice(["abc", "X", "7", "42", "é", "e\u0301", "'s", "-", "J̌", "9a", "٣"]) for _ in range(20_000))
+    got = resynchronised_ids(encoder(PATH), t.encode(), chunk=1000, overlap=16)
+    assert len(got) > 30 and np.frombuffer(b"".join(got), "<u4").tolist() == expected(t)
+
+
 def test_query_rows(spark, awkward):
     rows = token_counts(awkward, chunk=500, overlap=16).collect()
     texts = [r.text or "" for r in awkward.collect()]

@@ -1,9 +1,10 @@
 """Operator 5: token counts by overlap resynchronisation.
 
 A huge document is encoded in overlapping chunks with offsets. Two neighbours are spliced at a proven stable common
-boundary: an offset in the overlap where both encodings start a token, directly behind white space (which the
-pre-tokenizer never joins across), and behind which both list the same ids up to the end of the overlap. The first
-such offset wins. If there is none the overlap doubles, until one is found or the chunk reaches the document's end.
+boundary: an offset in the overlap where both encodings start a token, directly behind white space or between a digit
+and an ASCII letter or digit (the pre-tokenizer joins across neither), and behind which both list the same ids up to
+the end of the overlap. The first such offset wins. If there is none the overlap doubles, until one is found or the
+chunk reaches the document's end; a run of letters alone, however long, is one piece for the tokenizer too.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from .wordbpe import WordEncoder, encoder
 CHUNK_BYTES = 1 << 15
 OVERLAP_BYTES = 1 << 8
 OVER_LIMIT = 2048
-_PART = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Runs without white space, cut behind a digit where an ASCII letter or digit follows: a digit is a piece by itself.
+_PART = re.compile(rb"[^\x20\x09-\x0D]+?(?=[\x20\x09-\x0D]|\Z|(?<=[0-9])[0-9A-Za-z])")
 
 
 def _encode_chunk(enc: WordEncoder, text: bytes, start: int, end: int) -> tuple[np.ndarray, list[bytes]]:
     """Offsets of the parts in text[start:end] and the ids of each. A part cut by the chunk's end has unproven ids."""
-    chunk = text[start:end]
-    at = np.array([m.start() + start for m in _PART.finditer(chunk)], dtype=np.int64)
-    return at, enc.encode_parts([enc.parts(chunk)])[0]
+    chunk = enc.lowered(text[start:end])
+    found = [m.span() for m in _PART.finditer(chunk)]
+    return np.array([a + start for a, _ in found], dtype=np.int64), enc.encode_parts([[chunk[a:b] for a, b in found]])[0]
 
 
 def _common_boundary(left: tuple[np.ndarray, list[bytes]], right: tuple[np.ndarray, list[bytes]], low: int, last: bool) -> int | None:

@@ -59,13 +59,16 @@ class WordEncoder:
                 self.known[part] = ids
         return fresh
 
+    @staticmethod
+    def lowered(text: bytes) -> bytes:
+        """The text with ASCII capitals lowered where that can't change the ids: not beside combining marks (NFC runs
+        before the lower-casing) nor near special tokens' strings."""
+        return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
     @staticmethod
     def parts(text: bytes) -> list[bytes]:
-        """The parts between ASCII white space. ASCII capitals are lowered first where that can't change the ids:
-        not beside combining marks (NFC runs before the lower-casing) nor near special tokens' strings."""
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-            return text.split()
-        return text.lower().split()
+        """The parts between ASCII white space."""
+        return WordEncoder.lowered(text).split()
 
     def encode_parts(self, many: list[list[bytes]]) -> list[list[bytes]]:
         """For each list of parts, the ids of each part."""
