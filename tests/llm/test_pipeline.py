@@ -41,8 +41,22 @@ def test_every_stage_on_its_own_input(spark):
     check(frames["mixing"], data["packing"], 2048)
 
 
-def test_run(spark):
+def test_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.common.shared_dir", lambda _: str(tmp_path))
     assert P.run(spark, "/root/testdata/sf0.001").count() > 150
+    left = sorted(p.name.rpartition("-")[0] for p in (tmp_path / "tidewell").iterdir())
+    assert [n for n in left if not n.startswith("packing")] == sorted(f"pipeline-{n}" for n, _ in P.STAGES[:-1])
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewell.llm.common import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y" and shared_dir(session("local[4]", None))
 
 
 def test_awkward_rows(spark, awkward):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,17 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Paths that cut() has written inside a scratch() block of this thread.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def cut(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
 
-    Lost executors cost no recomputation of what was written, and a later plan reads the columns it needs.
+    Lost executors cost no recomputation of what was written, and a later plan reads the columns it needs. Inside of a
+    scratch() block the files go with it, unless ``kept``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None and not kept:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what cut() has written in it; results must have been used or kept by then."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        paths = _WRITTEN.get() or []
+        _WRITTEN.reset(token)
+        jvm = spark.sparkContext._jvm
+        for p in map(jvm.org.apache.hadoop.fs.Path, paths):
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
