@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, documents
+from tidewell.llm.common import cut, documents, scratch
 from tidewell.llm.language_id import learn_dictionaries, with_language
 from tidewell.llm.mixing import take
 from tidewell.llm.near_dup import drop_near_duplicates
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage wrote for itself goes behind it
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)
